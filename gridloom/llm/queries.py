@@ -7,12 +7,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import repetition
-from gridloom.sources.tables import table
+from gridloom.llm import components, mapping, neighbours, repetition, targets
+from gridloom.sources.session import cut
+from gridloom.sources.tables import latest, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class that each typed label means, 0 for none."""
+    fields = ["label_raw", "working_class", "cl_term"]
+    rows = latest(table(spark, sf_dir, "t4_label_harmonisation"), ["row_id"], "loaded_at", fields)
+    return mapping.mapped(rows, table(spark, sf_dir, "class_reference"), "row_id", fields)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dataset tied to another, with the smallest dataset of its component."""
+    tied = components.ties(table(spark, sf_dir, "t1_dataset_manifest"), table(spark, sf_dir, "split_manifest"))
+    return components.components(tied)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Datasets, budgets and classes for which there are too few cells."""
+    cols = ["dataset", "working_class", "n_cells"]
+    rows = cut(latest(table(spark, sf_dir, "t4_label_harmonisation"), ["row_id"], "loaded_at", cols))
+    meant = mapping.mapped(rows, table(spark, sf_dir, "class_reference"), "row_id", ["working_class"])
+    counts = rows.join(meant, "row_id").groupBy("dataset", "class_id").agg(F.sum("n_cells").alias("cells"))
+    runs = table(spark, sf_dir, "pilot_results_long")
+    budgets = runs.select(targets.whole_budget(F.col("budget")).alias("budget")).filter("budget IS NOT NULL").distinct()
+    return targets.shortfalls(rows.select("dataset").distinct(), counts, budgets, table(spark, sf_dir, "sample_target"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of cells that are among each other's five most similar, by a cosine of 0.93 or more."""
+    cells = latest(table(spark, sf_dir, "cell_repr"), ["cell_id"], "embedded_at", ["emb"])
+    return neighbours.mutual(neighbours.usable(cells))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of which at least 45 % repeat what they already said."""
     return repetition.repetitive(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id")
@@ -26,6 +57,13 @@ def p8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {"p8_found": p8_found, "p8_quality": p8_quality}
+QUERIES: dict[str, Query] = {
+    "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p8_found": p8_found,
+    "p8_quality": p8_quality,
+}
 
 SQL: dict[str, str] = {}

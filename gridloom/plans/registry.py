@@ -6,6 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from gridloom.operators import packed
+from gridloom.sources.tables import latest, table
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per value of the packed class lists, with its position and score."""
+    lists = ["mappable_classes", "cell_types_retained"]
+    manifest = latest(table(spark, sf_dir, "t1_dataset_manifest"), ["dataset"], "loaded_at", lists)
+    scored = ["classes_learnable", "per_class_f1_json"]
+    results = latest(table(spark, sf_dir, "pilot_results_long"), ["result_id"], "loaded_at", scored)
+    return packed.unpacked(manifest, "dataset", dict.fromkeys(lists, False)).unionByName(
+        packed.unpacked(results, "result_id", {scored[0]: False, scored[1]: True})
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found}
 
 SQL: dict[str, str] = {}

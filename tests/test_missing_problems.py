@@ -1,0 +1,82 @@
+"""Problems 1 to 5: each query exists and gives its true cases."""
+
+import pytest
+
+import __spark_entry__ as entry
+from gridloom.llm import components, mapping, neighbours, targets
+from gridloom.operators import packed
+
+REFERENCE = [
+    (101, ["Velarin_T4", "Velarin T4 cell", "VCD4+ lymphocyte"], "CL:9000011"),
+    (102, ["Velarin_T8", "Velarin T8 cell", "VCD8+ lymphocyte"], "CL:9055444"),
+    (104, ["Bornal", "Bornal lymphocyte", "BoL"], "CL:9166310"),
+    (105, ["Bornal_Plasm", "Plasm-forming bornal"], "CL:9221743"),
+]
+
+
+@pytest.mark.parametrize("n", range(1, 6))
+def test_registered(n):
+    assert f"p{n}_found" in entry.queries()
+
+
+def test_p1_lists():
+    read = packed.list_items
+    assert read("A; B,C|D||  ;C") == ["A", "B", "C", "D", "C"]
+    assert read('["A", "Cyclorin \\"dividing\\" pool"]') == ["A", 'Cyclorin "dividing" pool']
+    assert read("A;Merrow's touch cell;'P; m'") == ["A", "Merrow's touch cell", "P; m"]
+    assert read('A|"C ""d"" p"|x\\, y') == ["A", 'C "d" p', "x, y"]
+    assert read("NA") == read(" - ") == read(None) == []
+    assert read('["A", "B') == ["A"]
+
+
+def test_p1_scores():
+    read = packed.scored_items
+    assert read('{"A": 0.50, "B":NaN, "T, c": 5.3e-01}') == [("A", "0.50"), ("B", ""), ("T, c", "5.3e-01")]
+    assert read('[["A", 0.5], ["B", null]]') == [("A", "0.5"), ("B", "")]
+    assert read("A=; B=0.6") == [("A", ""), ("B", "0.6")]
+    assert read('"{\\"A\\":0.3, \\"B\\": 1.00}"') == [("A", "0.3"), ("B", "1.00")]
+    assert read('{"A": 0.5, "B": 0.6, "C": 0.') == [("A", "0.5"), ("B", "0.6")]
+
+
+def test_p2_labels():
+    m = mapping.Mapper(REFERENCE)
+    meant = {
+        "Vélárïn T8 céll": 102, "likely T4, Velarin (ann. 3)": 101, "Bonal lmyphocyte": 104, "VCD4+ cells": 101,
+        "Plasm, Bornal": 105, "Bornal lymp.": 104, "obo:CL_9221743": 105, "CL:9221744": 0, "Hexaplume": 0, "doublet": 0,
+    }
+    assert {t: m(t) for t in meant} == meant
+
+
+def test_p3_chain(spark):
+    manifest = spark.createDataFrame(
+        [("a", "XSE1", "10.9/x.1"), ("b", "(xse-2)", "DOI 10.9/X.1."), ("c", "XSE3", None), ("d", "XSE2b", "NA"), ("e", "NA", "NA")],
+        "dataset string, ldo_group string, doi string",
+    )
+    splits = spark.createDataFrame([("XSE 2 & acc:XSE3",), ("XSE2b",), (None,)], "holdout_group string")
+    got = {tuple(r) for r in components.components(components.ties(manifest, splits)).collect()}
+    assert got == {("a", "a"), ("b", "a"), ("c", "a")}
+
+
+def test_p4_shortfalls(spark):
+    b = spark.createDataFrame([(" 2,000",), ("50 cells",), ("25.0",), ("all",), ("2.5",)], "b string")
+    assert [r[0] for r in b.select(targets.whole_budget(b.b)).collect()] == [2000, 50, 25, None, None]
+    got = targets.shortfalls(
+        spark.createDataFrame([("x",), ("y",)], "dataset string"),
+        spark.createDataFrame([("x", 1, 6), ("x", 2, 3)], "dataset string, class_id int, cells long"),
+        spark.createDataFrame([(25,)], "budget int"),
+        spark.createDataFrame([(1, 22, 2), (2, 4, 4)], "class_id int, share_pct int, min_cells int"),
+    )
+    assert {tuple(r) for r in got.collect()} == {("x", 25, 2), ("y", 25, 1), ("y", 25, 2)}
+
+
+def test_p5_blocks_lose_nothing(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(neighbours, "BLOCK", 40)
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(60, 64))
+    v = np.concatenate([base, base[:25] * 3 + rng.normal(size=(25, 64)) * 0.2])
+    rows = [(f"c{n:03}", [float(x) for x in e]) for n, e in enumerate(v)] + [("z", [0.0] * 64), ("s", [1.0])]
+    df = neighbours.usable(spark.createDataFrame(rows, "cell_id string, emb array<float>"))
+    got = {tuple(r) for r in neighbours.mutual(df).collect()}
+    assert got == {(f"c{n:03}", f"c{n + 60:03}") for n in range(25)}
