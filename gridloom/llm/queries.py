@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import components, mapping, neighbours, repetition, targets
+from gridloom.llm import components, leakage, mapping, neighbours, packing, repetition, targets
 from gridloom.sources.session import cut
 from gridloom.sources.tables import latest, table
 
@@ -44,6 +44,16 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.mutual(neighbours.usable(cells))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that alone exceed a training sequence."""
+    return packing.cut_texts(packing.pack(table(spark, sf_dir, "documents")))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that carry a passage of an evaluation item, with the item."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of which at least 45 % repeat what they already said."""
     return repetition.repetitive(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id")
@@ -62,6 +72,8 @@ QUERIES: dict[str, Query] = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p7_found": p7_found,
     "p8_found": p8_found,
     "p8_quality": p8_quality,
 }
