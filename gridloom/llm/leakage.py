@@ -1,4 +1,4 @@
-"""Evaluation passages inside training texts: edit-tolerant hashing, then exact checks.
+"""Evaluation passages inside training texts: exact five-word seeds, then exact checks.
 
 The evaluation items are few and known, the corpus is large, so the items are indexed and
 every text is held against the index in the task that scans it. No text is shuffled; the
@@ -8,12 +8,10 @@ small enough to broadcast.
 Texts are compared as squeezed streams: folded, without anything but letters and digits.
 Line breaks, also inside words, punctuation, spacing and markup are gone there.
 
-1. Anchors: word starts whose next LEAD characters also begin at a word of some item.
-2. A CGK walk from each anchor: at step j it emits the character under the pointer and
-   moves on or stays, by a random bit for (j, character). Streams at a small edit distance
-   emit sequences at a small Hamming distance. Sampled steps of the sequence are hashed,
-   REPEATS times; an equal hash makes the anchor a candidate for the item's word.
-3. Checks: equal characters along the candidate's diagonal give whole runs of item words;
+1. Anchors: word starts where LEAST_RUN item words in a row begin, character by character.
+   n words with n // EDITS edits keep six such runs for any n >= 30; LEAST_ANCHORS are asked, and
+   no hash over edited characters is needed (a CGK walk found long runs only, by chance).
+2. Checks: equal characters along the candidate's diagonal give whole runs of item words;
    else item and surroundings are aligned word by word with unit edit costs, and the
    alignment is searched for a long stretch with few edits.
 """
@@ -30,12 +28,9 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.folding import fold_words
 
-LEAD = 16  #: squeezed characters that must agree at an anchor
-STEPS = 96  #: steps of a walk; it covers about half as many characters
-REPEATS = 4  #: sampled hashes of a walk
-SAMPLE = 10  #: sampled steps of a hash
+LEAD = 16  #: characters of an anchor that are hashed; shorter runs are hashed whole
 LEAST_RUN = 5  #: words in a row that n // EDITS edits leave unchanged in any n >= 30 words
-LEAST_ANCHORS = 3  #: anchors of a passage that the hashes must have found
+LEAST_ANCHORS = 3  #: anchors that a pair must have; a passage has six or more
 REACH = 48  #: characters of such a run that are compared at once
 EDITS = 7  #: a stretch of n words may have n / EDITS edits (about one in eight, rounded up)
 
@@ -44,27 +39,13 @@ _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 
-def _walk_bits(seed: int = 7) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The walk's random bits by step and byte, and the sampled steps of each repetition.
-
-    The first repetitions sample the walk's first two thirds, about 32 characters, so a run
-    of six or seven equal words is always found (a stretch of 30 words with three edits has
-    one); the others spread over the whole walk and bridge edits that lie between samples.
-    """
-    rng = np.random.default_rng(seed)
-    bits = rng.integers(0, 2, (STEPS, 256)).astype(np.int64)
-    reach = [STEPS * 2 // 3 if r < REPEATS // 2 else STEPS for r in range(REPEATS)]
-    return bits, [np.sort(rng.choice(r, SAMPLE, replace=False)) for r in reach]
-
-
-BITS, SAMPLES = _walk_bits()
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def squeeze(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Many texts as one stream: bytes, word starts, each start's text, offsets of texts.
 
-    Texts are parted by zeros, at least STEPS of them at the end.
+    Texts are parted by zeros, at least REACH of them at the end.
     """
     raw = np.frombuffer("\0".join(texts).encode() + b"\0", np.uint8)
     keep = _ALNUM[raw]
@@ -75,37 +56,23 @@ def squeeze(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     place = np.cumsum(keep) - 1
     starts = place[first]
     offsets = np.concatenate([[0], place[ends] + 1])
-    stream = np.concatenate([raw[keep], np.zeros(STEPS + LEAD, np.uint8)])
+    stream = np.concatenate([raw[keep], np.zeros(REACH + LEAD, np.uint8)])
     return stream, starts, np.searchsorted(offsets, starts, "right") - 1, offsets
 
 
-def _lead(stream: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A hash of the LEAD bytes from each place."""
+def _lead(stream: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n bytes from each place, n being LEAD at most."""
     words = np.ndarray((len(stream) - 7,), "<u8", stream.data, strides=(1,))
-    h = np.zeros(len(at), np.uint64)
-    for k in range(0, LEAD, 8):
-        h = (h ^ words[at + k]) * _MIX
+    h = np.full(len(at), n, np.uint64)
+    for k in range(0, n, 8):
+        w = words[at + k]
+        if n - k < 8:
+            w = w & np.uint64((1 << 8 * (n - k)) - 1)
+        h = (h ^ w) * _MIX
         h ^= h >> np.uint64(29)
     return h
 
 
-def walk_keys(stream: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """REPEATS hashes for each place: sampled steps of the walk that begins there."""
-    used = {int(s) for sample in SAMPLES for s in sample}
-    keys = [np.full(len(at), r + 1, np.uint64) for r in range(len(SAMPLES))]
-    p = at.copy()
-    for j in range(STEPS):
-        c = stream[p]
-        if j in used:
-            for r, sample in enumerate(SAMPLES):
-                if j in sample:
-                    keys[r] = (keys[r] ^ c) * _MIX
-                    keys[r] ^= keys[r] >> np.uint64(31)
-        p += BITS[j, c]
-        np.minimum(p, len(stream) - 1, out=p)
-    return keys
-
-
 @dataclass
 class Item:
     key: object
@@ -117,7 +84,7 @@ class Item:
 
 
 class Index:
-    """Walk hashes of all words of all items, and what the checks need of an item."""
+    """Hashes of all runs of LEAST_RUN words of all items, and what the checks need of an item."""
 
     def __init__(self, items: list[tuple[object, str]]):
         texts = [fold_words(t).replace("\0", " ") for _, t in items]
@@ -131,44 +98,41 @@ class Index:
             parts = [whole[a:b] for a, b in zip(mine, ends, strict=True)]
             words = [w.decode(errors="replace") for w in parts]
             self.items.append(Item(key, words, parts, body, ends, mine))
-        self.lead = np.zeros(1 << 22, bool)
-        leads = _lead(stream, starts)
-        self.lead[leads >> np.uint64(42)] = True
-        self.leads = np.unique(leads)
-        keys = np.concatenate(walk_keys(stream, starts)) if len(starts) else np.zeros(0, np.uint64)
-        order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        self.owner = np.tile(owner, len(SAMPLES))[order]
-        self.place = np.tile(starts, len(SAMPLES))[order]
-        # How many characters the LEAST_RUN words from each start have, at most REACH.
-        last = np.minimum(np.searchsorted(owner, owner, "right"), np.arange(len(starts)) + LEAST_RUN)
-        after = np.where(
-            last < np.searchsorted(owner, owner, "right"), starts[np.minimum(last, len(starts) - 1)], offsets[owner + 1] - 1
-        )
-        self.need = np.tile(np.minimum(after - starts, REACH), len(SAMPLES))[order]
+        # The runs of LEAST_RUN words, with how many characters they have, at most REACH.
+        run = np.flatnonzero(np.searchsorted(owner, owner, "right") >= np.arange(len(starts)) + LEAST_RUN)
+        after = np.append(starts, len(stream))[run + LEAST_RUN]
+        at, owner = starts[run], owner[run]
+        need = np.minimum(np.minimum(after, offsets[owner + 1] - 1) - at, REACH)
+        #: By hashed length: a sieve over the hashes, then hashes in order with owner, place and need.
+        self.seeds = {}
+        for n in np.unique(np.minimum(need, LEAD)).tolist():
+            mine = np.flatnonzero(np.minimum(need, LEAD) == n)
+            keys = _lead(stream, at[mine], n)
+            order = np.argsort(keys, kind="stable")
+            sieve = np.zeros(1 << 22, bool)
+            sieve[keys >> np.uint64(42)] = True
+            mine = mine[order]
+            self.seeds[n] = sieve, keys[order], owner[mine], at[mine], need[mine]
         self.stream, self.offsets = stream, offsets
 
     def candidates(self, stream: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(number in starts, item number, place in the item) of equal hashes, LEAST_RUN words being equal."""
-        h = _lead(stream, starts)
-        near = np.flatnonzero(self.lead[h >> np.uint64(42)])
-        if len(near) and len(self.leads):
-            spot = np.minimum(np.searchsorted(self.leads, h[near]), len(self.leads) - 1)
-            near = near[self.leads[spot] == h[near]]
+        """(number in starts, item number, place in the item) where LEAST_RUN words are equal."""
         out = []
-        if len(near):
-            for keys in walk_keys(stream, starts[near]):
-                lo = np.searchsorted(self.keys, keys, "left")
-                n = np.searchsorted(self.keys, keys, "right") - lo
-                hit = np.repeat(np.arange(len(near)), n)
-                slot = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-                p, q, need = starts[near[hit]], self.place[slot], self.need[slot]
-                ok = np.ones(len(hit), bool)
-                for k in range(LEAD, REACH):
-                    ok &= (stream[p + k] == self.stream[q + k]) | (need <= k)
-                hit, slot = hit[ok], slot[ok]
-                own = self.owner[slot]
-                out.append(np.stack([near[hit], own, self.place[slot] - self.offsets[own]]))
+        for length, (sieve, known, owner, place, least) in self.seeds.items():
+            keys = _lead(stream, starts, length)
+            near = np.flatnonzero(sieve[keys >> np.uint64(42)])
+            keys = keys[near]
+            lo = np.searchsorted(known, keys, "left")
+            n = np.searchsorted(known, keys, "right") - lo
+            hit = np.repeat(np.arange(len(near)), n)
+            slot = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+            p, q, need = starts[near[hit]], place[slot], least[slot]
+            ok = np.ones(len(hit), bool)
+            for k in range(REACH):
+                ok &= (stream[p + k] == self.stream[q + k]) | (need <= k)
+            hit, slot = hit[ok], slot[ok]
+            own = owner[slot]
+            out.append(np.stack([near[hit], own, place[slot] - self.offsets[own]]))
         if not out:
             return (np.zeros(0, np.int64),) * 3
         a = np.unique(np.concatenate(out, axis=1), axis=1)
@@ -260,8 +224,8 @@ def leaks_of(index: Index, texts: list[str], run: int = 14, stretch: int = 30) -
     shift = starts[hit] - offsets[doc_no] - at
     pair = doc_no * len(index.items) + item_no
     # Runs of r words hold r - 4 anchors of five equal words: a run of 14 has ten, and n words
-    # with n // EDITS edits have n - 5 * (n // EDITS) - 4, at least six. Phrases that many
-    # texts share have one or two.
+    # with n // EDITS edits have n - 5 * (n // EDITS) - 4, at least six, all of them found as
+    # seeds are exact. Half may be lost to glued or broken words.
     _, of, n = np.unique(pair, return_inverse=True, return_counts=True)
     rows = np.unique(np.stack([pair, shift])[:, n[of] >= LEAST_ANCHORS], axis=1)
     cuts = np.flatnonzero(np.diff(rows[0])) + 1

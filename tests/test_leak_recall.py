@@ -1,0 +1,22 @@
+"""Stretches of 30 to 40 words with evenly spread edits are found, all of them."""
+
+import random
+
+from gridloom.llm import leakage
+
+
+def test_evenly_spread_edits():
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 7)))
+    items = [(k, " ".join(word() for _ in range(60))) for k in range(60)]
+    texts = []
+    for k, t in items:
+        n = rng.randint(30, 40)
+        part = t.split()[10 : 10 + n]
+        edits = n // 8
+        for e in range(edits):
+            part[(e + 1) * n // (edits + 1)] = word()
+        texts.append(" ".join([word() for _ in range(20)] + part + [word() for _ in range(20)]))
+    texts.append(" ".join(items[0][1].split()[:12]))
+    found = leakage.leaks_of(leakage.Index(items), texts)
+    assert found == {(k, k) for k in range(60)}
