@@ -1 +1 @@
-"""Operators over DataFrames: packed fields, splits, scoring, statistics."""
+"""Operators over DataFrames: packed fields."""

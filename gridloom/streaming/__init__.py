@@ -1,2 +1 @@
-"""No operator of this engine is a stream: its only incremental work is resuming a
-grid of runs, and a batch anti join is the right form for it (operators.resume)."""
+"""No operator of this engine is a stream."""
