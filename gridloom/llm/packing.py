@@ -113,8 +113,9 @@ def pack(
     is unique in the result, and the pieces of one window have at most `capacity` tokens.
     Null and empty texts come out with n_tokens 0 and a null window, as they need no
     room. Rows that share an id are placed apart, each as a text of its own. Other columns
-    of df are not read. `batch` bounds the items divided together: memory and time per
-    batch are bounded, and at most one window per batch is left part empty.
+    of df are not read. `batch` bounds the items divided together, in scan order, and with
+    them memory and time. Differencing spreads a batch's free room over all its windows,
+    and small last batches of partitions fill worst, so the fill depends on partitioning.
     """
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, piece int, start bigint, n_tokens int, window bigint"
