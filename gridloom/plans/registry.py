@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.operators import packed
+from gridloom.plans import oracles, queries
 from gridloom.sources.tables import latest, table
 
 
@@ -21,6 +22,6 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**queries.QUERIES, "p1_found": p1_found}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(oracles.SQL)
