@@ -209,13 +209,16 @@ def nearest(
     spark = df.sparkSession
     rows = usable(df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{emb}`").alias("v")), "v", width).filter("id IS NOT NULL")
     kind = rows.schema["id"].dataType.simpleString()
-    # dense_rank, as an id may come twice; the limit is applied before the shuffle, too.
+    # dense_rank, as an id may come twice; the limit is applied before the shuffle, too, and
+    # all three windows share it.
     by_copy = Window.partitionBy("v").orderBy("id")
     classes = (
         rows.withColumn("_n", F.dense_rank().over(by_copy))
         .filter(F.col("_n") <= k + 1)
-        .groupBy("v")
-        .agg(F.sort_array(F.collect_set("id")).alias("ids"))
+        .withColumn("ids", F.sort_array(F.collect_set("id").over(Window.partitionBy("v"))))
+        .withColumn("_n", F.row_number().over(by_copy))
+        .filter("_n = 1")
+        .select("v", "ids")
     )
     total = rows.count()
     shards = max(1, -(-total // shard_rows))
