@@ -21,10 +21,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD_ROWS = 250_000  #: vectors of a shard, about 60 MB of floats
+SHARD_ROWS = 120_000  #: vectors of a shard, about 30 MB of floats
 FIT_ROWS = 20_000  #: bound of the sample that the tree over the shards is fitted on
 LEAF = 128  #: vectors of a leaf, compared one by one
-FACTOR = 6.0  #: of relaxation; the README has the recall measured at it
+FACTOR = 5.0  #: of relaxation; the README has the recall measured at it
 CHUNK = 4_000_000  #: candidates kept before they are cut to k a query
 
 
