@@ -12,8 +12,8 @@ LOOK_ALIKES = str.maketrans(
     "авекмнорстухіјѕԁԛԝһѵαβεικνορτυχγӏɡıłøđ",
     "abekmhopctyxijsdqwhvabeikvoptuxylgilod",
 )
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
-_SIGNS = re.compile(r"[^\w]|_")
+_TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
+_SIGNS = re.compile(r"[^\w\s]|_")
 
 
 def fold(text: str) -> str:
@@ -30,6 +30,6 @@ def fold(text: str) -> str:
 
 
 def fold_words(text: str) -> str:
-    """fold() with every sign that is no letter or digit as a blank; letters stay as they are."""
+    """fold() with every sign that is no letter, digit or white space as a hyphen, where there are other signs than ASCII's."""
     text = fold(text)
-    return text if text.isascii() else _SIGNS.sub(" ", text)
+    return text if text.isascii() else " ".join(_SIGNS.sub("-", text).split())

@@ -1,4 +1,4 @@
-"""Evaluation passages inside training texts: exact five-word seeds, then exact checks.
+"""Evaluation passages inside training texts: an embedding of edits, sampled hashes, exact checks.
 
 The evaluation items are few and known, the corpus is large, so the items are indexed and
 every text is held against the index in the task that scans it. No text is shuffled; the
@@ -8,31 +8,41 @@ small enough to broadcast.
 Texts are compared as squeezed streams: folded, without anything but letters and digits.
 Line breaks, also inside words, punctuation, spacing and markup are gone there.
 
-1. Anchors: word starts where LEAST_RUN item words in a row begin, character by character.
-   n words with n // EDITS edits keep six such runs for any n >= 30; LEAST_ANCHORS are asked, and
-   no hash over edited characters is needed (a CGK walk found long runs only, by chance).
-2. Checks: equal characters along the candidate's diagonal give whole runs of item words;
-   else item and surroundings are aligned word by word with unit edit costs, and the
+1. Windows as long as the shortest passage that counts (`run` words of an item) begin at every
+   word of the items and of the texts. A random walk reads each: at step t it puts out
+   the character it stands on and a random bit, a function of t and the character,
+   says whether it moves on. Strings a few edits apart soon fall into step again, so their
+   edit distance becomes a Hamming distance between walks of equal length.
+2. TABLES hashes, each of SAMPLES steps of a walk, find equal samples. A table draws its
+   steps from the first part of the walk (SPANS), so that edits late in a window do not hurt.
+3. All hits of a block of texts are checked at once: equal characters along a hit's diagonal
+   give its whole item words. A run of them decides; else an item that has LEAST_WORDS of
+   `stretch` words on its diagonals is aligned word by word with unit edit costs, and the
    alignment is searched for a long stretch with few edits.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gridloom.llm.folding import fold_words
 
-LEAD = 16  #: characters of an anchor that are hashed; shorter runs are hashed whole
-LEAST_RUN = 5  #: words in a row that n // EDITS edits leave unchanged in any n >= 30 words
-LEAST_ANCHORS = 3  #: anchors that a pair must have; a passage has six or more
-REACH = 48  #: characters of such a run that are compared at once
+WALKS = 2  #: independent embeddings
+SPANS = (0.75, 0.9)  #: part of the walk that each table of a walk samples
+TABLES = WALKS * len(SPANS)
+SAMPLES = 16  #: steps hashed by a table; the README has the recall measured with these
+LEAST_WORDS = 0.4  #: share of a stretch's words that hits must have found before it is aligned
 EDITS = 7  #: a stretch of n words may have n / EDITS edits (about one in eight, rounded up)
+EXPAND = 400_000  #: hits looked at together
+_PAD = 512
 
 #: Byte classes: letters and digits, with the bytes of other scripts' letters.
 _ALNUM = np.zeros(256, bool)
@@ -42,10 +52,12 @@ _ALNUM[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def squeeze(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Many texts as one stream: bytes, word starts, each start's text, offsets of texts.
+def squeeze(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Many texts as one stream: bytes, starts, each start's text, offsets of texts, spaced.
 
-    Texts are parted by zeros, at least REACH of them at the end.
+    A start is a letter or digit after anything else; it is spaced if there was white space,
+    so the spaced ones begin what is written as a word. Texts are parted by zeros, many of
+    them at the end.
     """
     raw = np.frombuffer("\0".join(texts).encode() + b"\0", np.uint8)
     keep = _ALNUM[raw]
@@ -56,21 +68,45 @@ def squeeze(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     place = np.cumsum(keep) - 1
     starts = place[first]
     offsets = np.concatenate([[0], place[ends] + 1])
-    stream = np.concatenate([raw[keep], np.zeros(REACH + LEAD, np.uint8)])
-    return stream, starts, np.searchsorted(offsets, starts, "right") - 1, offsets
-
-
-def _lead(stream: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """A hash of the n bytes from each place, n being LEAD at most."""
-    words = np.ndarray((len(stream) - 7,), "<u8", stream.data, strides=(1,))
-    h = np.full(len(at), n, np.uint64)
-    for k in range(0, n, 8):
-        w = words[at + k]
-        if n - k < 8:
-            w = w & np.uint64((1 << 8 * (n - k)) - 1)
-        h = (h ^ w) * _MIX
-        h ^= h >> np.uint64(29)
-    return h
+    stream = np.concatenate([raw[keep], np.zeros(_PAD, np.uint8)])
+    gaps = np.cumsum((raw == 32) | (raw == 10) | (raw == 9) | (raw == 13) | ends)
+    before = np.flatnonzero(keep & ~ends)
+    since = np.diff(gaps[before], prepend=-1) > 0
+    return stream, starts, np.searchsorted(offsets, starts, "right") - 1, offsets, since[first[before]]
+
+
+@dataclass(frozen=True)
+class Walks:
+    """Random bits of the walks and the steps each table samples; the same in every task."""
+
+    bits: np.ndarray  # (walk, step, character)
+    steps: tuple[tuple[frozenset[int], ...], ...]  # per walk and table
+
+    @staticmethod
+    def of(window: int, seed: int = 11) -> Walks:
+        """Walks that stay inside a window of that many characters in 99 of 100 cases."""
+        n = int(((-2.33 + math.sqrt(2.33**2 + 8 * window)) / 2) ** 2)
+        rng = np.random.default_rng(seed)
+        bits = rng.integers(0, 2, (WALKS, n, 256)).astype(np.int32)
+        bits[:, :, 0] = 0  # the end of a text is never left
+        k = min(SAMPLES, n)
+        steps = tuple(tuple(frozenset(rng.choice(max(k, int(n * x)), k, replace=False).tolist()) for x in SPANS) for _ in range(WALKS))
+        return Walks(bits, steps)
+
+    def hashes(self, stream: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
+        """TABLES arrays of hashes, one per start."""
+        for bits, tables in zip(self.bits, self.steps, strict=True):
+            at = starts.astype(np.int32 if len(stream) < 2**31 else np.int64)
+            out = [np.zeros(len(starts), np.uint64) for _ in tables]
+            for t in range(1 + max(max(x) for x in tables)):
+                here = stream[at]
+                for h, x in zip(out, tables, strict=True):
+                    if t in x:
+                        h ^= here
+                        h *= _MIX
+                        h ^= h >> np.uint64(29)
+                at += bits[t][here]
+            yield from out
 
 
 @dataclass
@@ -84,12 +120,14 @@ class Item:
 
 
 class Index:
-    """Hashes of all runs of LEAST_RUN words of all items, and what the checks need of an item."""
+    """Hashes of the windows of all items, and what the checks need of an item."""
 
-    def __init__(self, items: list[tuple[object, str]]):
+    def __init__(self, items: list[tuple[object, str]], run: int = 14):
         texts = [fold_words(t).replace("\0", " ") for _, t in items]
-        stream, starts, owner, offsets = squeeze(texts)
+        stream, starts, owner, offsets, spaced = squeeze(texts)
+        starts, owner = starts[spaced], owner[spaced]
         self.items: list[Item] = []
+        shortest = 64
         for n, (key, _) in enumerate(items):
             mine = starts[owner == n] - offsets[n]
             body = stream[offsets[n] : offsets[n + 1] - 1]
@@ -98,56 +136,75 @@ class Index:
             parts = [whole[a:b] for a, b in zip(mine, ends, strict=True)]
             words = [w.decode(errors="replace") for w in parts]
             self.items.append(Item(key, words, parts, body, ends, mine))
-        # The runs of LEAST_RUN words, with how many characters they have, at most REACH.
-        run = np.flatnonzero(np.searchsorted(owner, owner, "right") >= np.arange(len(starts)) + LEAST_RUN)
-        after = np.append(starts, len(stream))[run + LEAST_RUN]
-        at, owner = starts[run], owner[run]
-        need = np.minimum(np.minimum(after, offsets[owner + 1] - 1) - at, REACH)
-        #: By hashed length: a sieve over the hashes, then hashes in order with owner, place and need.
-        self.seeds = {}
-        for n in np.unique(np.minimum(need, LEAD)).tolist():
-            mine = np.flatnonzero(np.minimum(need, LEAD) == n)
-            keys = _lead(stream, at[mine], n)
-            order = np.argsort(keys, kind="stable")
-            sieve = np.zeros(1 << 22, bool)
-            sieve[keys >> np.uint64(42)] = True
-            mine = mine[order]
-            self.seeds[n] = sieve, keys[order], owner[mine], at[mine], need[mine]
+            if len(mine) >= run:
+                shortest = min(shortest, int((ends[run - 1 :] - mine[: len(mine) - run + 1]).min()))
+        self.walks = Walks.of(max(shortest, 16))
+        self.owner, self.place = owner, starts - offsets[owner]
         self.stream, self.offsets = stream, offsets
-
-    def candidates(self, stream: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(number in starts, item number, place in the item) where LEAST_RUN words are equal."""
-        out = []
-        for length, (sieve, known, owner, place, least) in self.seeds.items():
-            keys = _lead(stream, starts, length)
-            near = np.flatnonzero(sieve[keys >> np.uint64(42)])
-            keys = keys[near]
-            lo = np.searchsorted(known, keys, "left")
-            n = np.searchsorted(known, keys, "right") - lo
-            hit = np.repeat(np.arange(len(near)), n)
-            slot = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-            p, q, need = starts[near[hit]], place[slot], least[slot]
-            ok = np.ones(len(hit), bool)
-            for k in range(REACH):
-                ok &= (stream[p + k] == self.stream[q + k]) | (need <= k)
-            hit, slot = hit[ok], slot[ok]
-            own = owner[slot]
-            out.append(np.stack([near[hit], own, place[slot] - self.offsets[own]]))
-        if not out:
-            return (np.zeros(0, np.int64),) * 3
-        a = np.unique(np.concatenate(out, axis=1), axis=1)
-        return a[0], a[1], a[2]
-
-
-def whole_run(item: Item, doc: np.ndarray, shift: int) -> int:
-    """The most consecutive item words that the text has unchanged at this shift."""
-    lo, hi = max(0, -shift), min(len(item.stream), len(doc) - shift)
-    same = np.zeros(len(item.stream) + 1, np.int64)
-    same[lo + 1 : hi + 1] = item.stream[lo:hi] == doc[lo + shift : hi + shift]
-    total = np.cumsum(same)
-    good = total[item.ends] - total[item.starts] == item.ends - item.starts
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], good.astype(np.int8), [0]])))
-    return int((edges[1::2] - edges[::2]).max(initial=0))
+        self.lengths = np.diff(offsets) - 1
+        self.first = np.searchsorted(owner, np.arange(len(items) + 1))  # of each item's words
+        self.word_ends = np.concatenate([x.ends for x in self.items]) if items else starts
+        #: By table: a sieve over the hashes, then hashes in order and the word starts they are of.
+        self.tables = []
+        for keys in self.walks.hashes(stream, starts):
+            order = np.argsort(keys, kind="stable")
+            sieve = np.zeros(1 << 20, bool)
+            sieve[keys >> np.uint64(44)] = True
+            self.tables.append((sieve, keys[order], order))
+
+    def candidates(self, stream: np.ndarray, starts: np.ndarray, doc: np.ndarray, doc_at: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Blocks of distinct (text, item, shift) that share a hash; a text is never in two blocks.
+
+        The number of hits is known before any is written out, so a passage that many items
+        share costs time, not memory, but for the hits of one text.
+        """
+        hits = []
+        for (sieve, known, slot), keys in zip(self.tables, self.walks.hashes(stream, starts), strict=True):
+            near = np.flatnonzero(sieve[keys >> np.uint64(44)])
+            lo = np.searchsorted(known, keys[near], "left")
+            n = np.searchsorted(known, keys[near], "right") - lo
+            hits.append((near[n > 0], lo[n > 0], n[n > 0], slot))
+        weight = np.zeros(int(doc.max(initial=-1)) + 1, np.int64)
+        for near, _, n, _ in hits:
+            weight += np.bincount(doc[near], n, len(weight)).astype(np.int64)
+        block = np.cumsum(weight) // EXPAND
+        for b in np.unique(block[weight > 0]):
+            out = []
+            for near, lo, n, slot in hits:
+                mine = block[doc[near]] == b
+                at, a, m = near[mine], lo[mine], n[mine]
+                who = np.repeat(at, m)
+                known = slot[np.arange(len(who)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(a, m)]
+                shift = starts[who] - doc_at[who] - self.place[known]
+                # One number for text, item and shift; the shift is between -2^31 and 2^31.
+                out.append((doc[who].astype(np.int64) * len(self.items) + self.owner[known]) * (1 << 32) + shift + (1 << 31))
+            whole = np.unique(np.concatenate(out))
+            pair, shift = whole >> 32, (whole & ((1 << 32) - 1)) - (1 << 31)
+            yield pair // len(self.items), pair % len(self.items), shift
+
+    def whole_words(self, stream: np.ndarray, offsets: np.ndarray, doc: np.ndarray, item: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        """A row of the item's words for each candidate: which are unchanged in the text at that shift."""
+        n = int(self.lengths[item].max())
+        cols = np.arange(n)
+        at = shift[:, None] + cols
+        inside = (at >= 0) & (at < (offsets[doc + 1] - 1 - offsets[doc])[:, None]) & (cols < self.lengths[item][:, None])
+        here = stream[np.where(inside, offsets[doc][:, None] + at, len(stream) - 1)]
+        there = self.stream[np.minimum(self.offsets[item][:, None] + cols, len(self.stream) - 1)]
+        total = np.zeros((len(doc), n + 1), np.int32)
+        np.cumsum((here == there) & inside, axis=1, out=total[:, 1:])
+        count = self.first[item + 1] - self.first[item]
+        word = np.arange(int(count.max()))
+        known = word < count[:, None]
+        k = np.where(known, self.first[item][:, None] + word, 0)
+        begin, end = np.where(known, self.place[k], 0), np.where(known, self.word_ends[k], 0)
+        got = np.take_along_axis(total, end, axis=1) - np.take_along_axis(total, begin, axis=1)
+        return known & (got == end - begin)
+
+
+def longest_run(good: np.ndarray) -> np.ndarray:
+    """The most true places in a row, of each row."""
+    n = np.arange(1, good.shape[1] + 1)
+    return (n - np.maximum.accumulate(np.where(good, 0, n), axis=1)).max(axis=1, initial=0)
 
 
 def _joined(words: list[str], item: Item) -> list[str]:
@@ -215,54 +272,69 @@ def _has_stretch(cost: np.ndarray, least: int, edits: int) -> bool:
 
 def leaks_of(index: Index, texts: list[str], run: int = 14, stretch: int = 30) -> set[tuple[int, int]]:
     """(number of the text, number of the item) of all leaks."""
-    stream, starts, owner, offsets = squeeze(texts)
-    hit, item_no, at = index.candidates(stream, starts)
+    stream, starts, owner, offsets, spaced = squeeze(texts)
     found: set[tuple[int, int]] = set()
-    if not len(hit):
-        return found
-    doc_no = owner[hit]
-    shift = starts[hit] - offsets[doc_no] - at
-    pair = doc_no * len(index.items) + item_no
-    # Runs of r words hold r - 4 anchors of five equal words: a run of 14 has ten, and n words
-    # with n // EDITS edits have n - 5 * (n // EDITS) - 4, at least six, all of them found as
-    # seeds are exact. Half may be lost to glued or broken words.
-    _, of, n = np.unique(pair, return_inverse=True, return_counts=True)
-    rows = np.unique(np.stack([pair, shift])[:, n[of] >= LEAST_ANCHORS], axis=1)
-    cuts = np.flatnonzero(np.diff(rows[0])) + 1
-    for part in np.split(rows, cuts, axis=1) if rows.size else []:
-        d, k = divmod(int(part[0, 0]), len(index.items))
-        item = index.items[k]
-        doc = stream[offsets[d] : offsets[d + 1] - 1]
-        if any(whole_run(item, doc, int(s)) >= run for s in part[1]):
+    for doc, item, shift in index.candidates(stream, starts, owner, offsets[owner]):
+        pair = doc * len(index.items) + item
+        edges = np.flatnonzero(np.diff(pair, prepend=-1))
+        step = max(1, 4_000_000 // (int(index.lengths[item].max()) + 1))
+        at = 0
+        while at < len(pair):  # blocks of whole pairs, of bounded size but for one pair's rows
+            to = edges[np.searchsorted(edges, at + step)] if at + step < edges[-1] else len(pair)
+            _check(index, (stream, starts, owner, offsets, spaced), doc[at:to], item[at:to], shift[at:to], run, stretch, found)
+            at = to
+    return found
+
+
+def _check(index, texts, doc, item, shift, run, stretch, found) -> None:
+    """Adds the leaks among candidates, which are ordered by text and item, to found."""
+    stream, _, _, offsets, _ = texts
+    good = index.whole_words(stream, offsets, doc, item, shift)
+    pair = doc * len(index.items) + item
+    first = np.flatnonzero(np.diff(pair, prepend=-1))
+    exact = np.maximum.reduceat(longest_run(good), first) >= run
+    found.update(zip(doc[first[exact]].tolist(), item[first[exact]].tolist(), strict=True))
+    known = np.logical_or.reduceat(good, first, axis=0)
+    total = np.cumsum(np.concatenate([np.zeros((len(first), 1), np.int32), known], axis=1), axis=1)
+    if total.shape[1] <= stretch:
+        return
+    dense = (total[:, stretch:] - total[:, :-stretch]).max(axis=1) >= LEAST_WORDS * stretch
+    ends = np.append(first[1:], len(pair))
+    for n in np.flatnonzero(dense & ~exact):
+        d, k = int(doc[first[n]]), int(item[first[n]])
+        if _aligned(index.items[k], texts, d, shift[first[n] : ends[n]], stretch):
             found.add((d, k))
+
+
+def _aligned(item: Item, texts, d: int, shifts: np.ndarray, stretch: int) -> bool:
+    """Whether text d has a close stretch of the item near one of the shifts, by words as written or as spelt."""
+    stream, starts, owner, offsets, spaced = texts
+    lo_at, hi_at = np.searchsorted(owner, [d, d + 1])
+    mine = starts[lo_at:hi_at] - offsets[d]
+    whole, done = stream[offsets[d] : offsets[d + 1] - 1].tobytes(), None
+    slack = len(item.stream) // 4
+    for s in np.sort(shifts).tolist():
+        # Shifts that lie together are looked at in one piece of the text.
+        if done is not None and s <= done:
             continue
-        if len(item.words) < stretch:
+        lo, hi = max(0, s - slack), s + slack + len(item.stream)
+        done = s + slack // 2
+        # A word of the item that is nowhere near costs an edit in any alignment.
+        piece = whole[lo:hi]
+        if not _has_stretch(np.array([w not in piece for w in item.parts], np.int64), stretch, EDITS):
             continue
-        # Candidates that lie together are looked at in one piece of the text.
-        mine = starts[np.searchsorted(owner, d, "left") : np.searchsorted(owner, d, "right")] - offsets[d]
-        whole, done = doc.tobytes(), -1
-        slack = len(item.stream) // 4
-        for s in np.sort(part[1]):
-            if s <= done:
-                continue
-            lo, hi = int(s) - slack, int(s) + slack + len(item.stream)
-            done = int(s) + slack // 2
-            # A word of the item that is nowhere near costs an edit in any alignment.
-            piece = whole[max(0, lo) : hi]
-            if not _has_stretch(np.array([w not in piece for w in item.parts], np.int64), stretch, EDITS):
-                continue
-            a, b = np.searchsorted(mine, max(0, lo)), np.searchsorted(mine, hi)
-            ends = np.append(mine[a + 1 : b], min(hi, len(doc)) if b == len(mine) else mine[b])
-            near = [whole[x:y].decode(errors="replace") for x, y in zip(mine[a:b], ends, strict=True)]
+        for some in (mine[spaced[lo_at:hi_at]], mine):
+            a, b = np.searchsorted(some, [lo, hi])
+            ends = np.append(some[a + 1 : b], min(hi, len(whole)) if b == len(some) else some[b])
+            near = [whole[x:y].decode(errors="replace") for x, y in zip(some[a:b], ends, strict=True)]
             if close_stretch(item, near, stretch):
-                found.add((d, k))
-                break
-    return found
+                return True
+    return False
 
 
 @functools.lru_cache(maxsize=2)
 def _index_of(broadcast_id: int, box: _Box) -> Index:
-    return Index(box.value)
+    return Index(*box.value)
 
 
 class _Box:
@@ -287,7 +359,7 @@ def leaks(
     item_text: str = "item_text",
     run: int = 14,
     stretch: int = 30,
-    block_chars: int = 16_000_000,
+    block_chars: int = 4_000_000,
     batch_chars: int = 1_000_000,
 ) -> DataFrame:
     """One row (doc_id, item_id) for each text that carries a passage of an item.
@@ -303,18 +375,19 @@ def leaks(
     blocks = max(1, -(-int(size) // block_chars))
     types = [docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()]
     schema = f"`{doc_id}` {types[0]}, `{item_id}` {types[1]}"
+    kind = to_arrow_type(items.schema[item_id].dataType)
     out = None
     for n in range(blocks):
         block = items.filter(F.pmod(F.xxhash64(item_id), F.lit(blocks)) == n) if blocks > 1 else items
-        shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in block.collect()])
+        shared = spark.sparkContext.broadcast(([(r[0], r[1]) for r in block.collect()], run))
         found = docs.select(F.col(doc_id), F.col(text)).mapInArrow(
-            _searcher(shared, schema, doc_id, item_id, run, stretch, batch_chars), schema
+            _searcher(shared, kind, doc_id, item_id, run, stretch, batch_chars), schema
         )
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _searcher(shared, schema: str, doc_id: str, item_id: str, run: int, stretch: int, batch_chars: int):
+def _searcher(shared, kind, doc_id: str, item_id: str, run: int, stretch: int, batch_chars: int):
     def search(frames: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -328,7 +401,7 @@ def _searcher(shared, schema: str, doc_id: str, item_id: str, run: int, stretch:
             nonlocal ids, texts, size
             found = sorted(leaks_of(index, texts, run, stretch))
             if found:
-                kinds = types[0], (pa.string() if schema.endswith("string") else None)
+                kinds = types[0], kind
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([ids[d] for d, _ in found], kinds[0]), pa.array([index.items[k].key for _, k in found], kinds[1])],
                     names=[doc_id, item_id],

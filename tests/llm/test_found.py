@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from gridloom.llm import components, mapping, neighbours, targets
+from gridloom.llm import components, mapping, targets
 from gridloom.operators import packed
 
 REFERENCE = [
@@ -67,16 +67,3 @@ def test_p4_shortfalls(spark):
         spark.createDataFrame([(1, 22, 2), (2, 4, 4)], "class_id int, share_pct int, min_cells int"),
     )
     assert {tuple(r) for r in got.collect()} == {("x", 25, 2), ("y", 25, 1), ("y", 25, 2)}
-
-
-def test_p5_blocks_lose_nothing(spark, monkeypatch):
-    import numpy as np
-
-    monkeypatch.setattr(neighbours, "BLOCK", 40)
-    rng = np.random.default_rng(1)
-    base = rng.normal(size=(60, 64))
-    v = np.concatenate([base, base[:25] * 3 + rng.normal(size=(25, 64)) * 0.2])
-    rows = [(f"c{n:03}", [float(x) for x in e]) for n, e in enumerate(v)] + [("z", [0.0] * 64), ("s", [1.0])]
-    df = neighbours.usable(spark.createDataFrame(rows, "cell_id string, emb array<float>"))
-    got = {tuple(r) for r in neighbours.mutual(df).collect()}
-    assert got == {(f"c{n:03}", f"c{n + 60:03}") for n in range(25)}

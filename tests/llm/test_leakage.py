@@ -1,22 +1,71 @@
-"""Stretches of 30 to 40 words with evenly spread edits are found, all of them."""
+"""Leaks against planted cases: short words, edits, hot passages, broken words, odd rows."""
 
 import random
+import time
 
 from gridloom.llm import leakage
 
 
-def test_evenly_spread_edits():
-    rng = random.Random(3)
-    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 7)))
-    items = [(k, " ".join(word() for _ in range(60))) for k in range(60)]
+def _words(rng, n, low, high):
+    return ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(low, high))) for _ in range(n)]
+
+
+def _recall(low, high, n, edits, even, seed=3):
+    rng = random.Random(seed)
+    items = [(k, " ".join(_words(rng, 60, low, high))) for k in range(100)]
     texts = []
-    for k, t in items:
-        n = rng.randint(30, 40)
+    for _, t in items:
         part = t.split()[10 : 10 + n]
-        edits = n // 8
-        for e in range(edits):
-            part[(e + 1) * n // (edits + 1)] = word()
-        texts.append(" ".join([word() for _ in range(20)] + part + [word() for _ in range(20)]))
-    texts.append(" ".join(items[0][1].split()[:12]))
+        at = [(e + 1) * n // (edits + 1) for e in range(edits)] if even else sorted(rng.sample(range(n), edits))
+        for p in reversed(at):
+            part[p : p + rng.choice([1, 1, 0])] = rng.choice([[], _words(rng, 1, low, high)])
+        texts.append(" ".join(_words(rng, 20, 3, 7) + part + _words(rng, 20, 3, 7)))
     found = leakage.leaks_of(leakage.Index(items), texts)
-    assert found == {(k, k) for k in range(60)}
+    assert all(a == b for a, b in found)
+    return len(found) / 100
+
+
+def test_exact_runs_of_any_word_length():
+    assert _recall(1, 3, 14, 0, True) >= 0.95
+    assert _recall(4, 4, 14, 0, True) == 1.0
+    assert _recall(3, 9, 14, 0, True) == 1.0
+
+
+def test_edited_stretches():
+    assert _recall(3, 7, 34, 4, True) >= 0.95
+    assert _recall(3, 7, 40, 5, False) >= 0.95
+    assert _recall(2, 4, 34, 3, True) >= 0.9
+
+
+def test_shorter_overlaps_are_no_leaks():
+    rng = random.Random(4)
+    items = [(k, " ".join(_words(rng, 60, 3, 7))) for k in range(40)]
+    texts = [" ".join(_words(rng, 20, 3, 7) + t.split()[5:16] + _words(rng, 20, 3, 7)) for _, t in items]
+    assert leakage.leaks_of(leakage.Index(items), texts) == set()
+
+
+def test_markup_case_breaks_and_accents_do_not_count():
+    rng = random.Random(5)
+    words = _words(rng, 40, 5, 8)
+    text = "Intro <b>" + " ".join(words[3:8]).upper() + "</b>, " + words[8][:3] + "\n" + words[8][3:] + " — ".join(["", *words[9:20]]).replace("e", "é")
+    assert leakage.leaks_of(leakage.Index([(1, " ".join(words))]), [leakage.fold_words(text)]) == {(0, 0)}
+
+
+def test_a_passage_that_many_items_share():
+    rng = random.Random(6)
+    shared = _words(rng, 40, 3, 7)
+    items = [(k, " ".join(_words(rng, 10, 3, 7) + shared + _words(rng, 10, 3, 7))) for k in range(300)]
+    texts = [" ".join(_words(rng, 30, 3, 7) + shared) for _ in range(50)]
+    index, began = leakage.Index(items), time.time()
+    assert len(leakage.leaks_of(index, texts)) == 300 * 50
+    assert time.time() - began < 30
+
+
+def test_rows_nulls_and_types(spark):
+    item = " ".join(f"word{n}x{n * 7 % 11}" for n in range(40))
+    docs = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, item, 5), (3, item, 6), (4, "no", 7)], "doc_id long, text string, item_id int")
+    items = spark.createDataFrame([(7, item, 1), (8, None, 1), (9, " ", 1), (10, "few words", 1)], "item_id int, item_text string, doc_id int")
+    got = leakage.leaks(docs, items)
+    assert got.dtypes == [("doc_id", "bigint"), ("item_id", "int")]
+    assert [tuple(r) for r in got.collect()] == [(3, 7), (3, 7)]
+    assert leakage.leaks(docs.limit(0), items).count() == leakage.leaks(docs, items.limit(0)).count() == 0
