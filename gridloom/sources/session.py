@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folder of sessions without a setting: spark.checkpoint.dir can't be set once a session runs.
+_local: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
@@ -17,25 +20,42 @@ def shared_dir(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            _local[app] = "file://" + tempfile.mkdtemp(prefix="gridloom-")
+        root = _local[app]
     return f"{root.rstrip('/')}/gridloom/{uuid.uuid4().hex}"
 
 
+def _path(spark: SparkSession, path: str):
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut: written to the shared folder, read back.
 
     A written table survives the loss of executors, keeps its schema and has
-    statistics, so the plans after it are sized by what is really there.
+    statistics, so the plans after it are sized by what is really there. It is
+    removed when the driver ends, or earlier by discard().
     """
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def cores(spark: SparkSession) -> int:
-    """Task slots of the cluster, at least 2."""
-    return max(2, spark.sparkContext.defaultParallelism)
+    fs, jpath = _path(spark, path)
+    fs.deleteOnExit(jpath)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables written by cut() that nothing reads any more; others are left alone."""
+    for t in tables:
+        path = getattr(t, "_cut_path", None)
+        if path:
+            fs, jpath = _path(t.sparkSession, path)
+            fs.delete(jpath, True)
