@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm import components, leakage, mapping, neighbours, packing, repetition, targets
@@ -21,21 +21,72 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.mapped(rows, table(spark, sf_dir, "class_reference"), "row_id", fields)
 
 
+def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed values that mean no class, with the nearest one and how near it is."""
+    rows = latest(table(spark, sf_dir, "t4_label_harmonisation"), ["row_id"], "loaded_at", ["label_raw"])
+    return mapping.values_of(rows.select(F.col("label_raw").alias("value")), table(spark, sf_dir, "class_reference")).filter("class_id = 0")
+
+
+def _ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.ties(table(spark, sf_dir, "t1_dataset_manifest"), table(spark, sf_dir, "split_manifest"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every dataset tied to another, with the smallest dataset of its component."""
-    tied = components.ties(table(spark, sf_dir, "t1_dataset_manifest"), table(spark, sf_dir, "split_manifest"))
-    return components.components(tied)
+    return components.components(_ties(spark, sf_dir))
 
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Datasets, budgets and classes for which there are too few cells."""
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest(table(spark, sf_dir, "t1_dataset_manifest"), ["dataset"], "loaded_at", ["n_donors", "recorded_at", "ldo_group", "doi"])
+
+
+def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dataset with its component and partition, dealt out at once."""
+    return components.dealt(_records(spark, sf_dir), _ties(spark, sf_dir))
+
+
+def p3_grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component table built in two steps: the datasets recorded by mid-2025, then all of them over that table."""
+    rows = _records(spark, sf_dir)
+    early = rows.filter("recorded_at < TIMESTAMP'2025-07-01'")
+    first = cut(components.dealt(early, components.ties(early, table(spark, sf_dir, "split_manifest"))))
+    return components.dealt(rows, _ties(spark, sf_dir), before=first)
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Datasets and share of the donors of each partition."""
+    sums = p3_splits(spark, sf_dir).groupBy("partition").agg(F.count("*").alias("n_datasets"), F.sum("weight").alias("donors"))
+    return sums.withColumn("share", F.round(F.col("donors") / F.sum("donors").over(Window.partitionBy()), 4))
+
+
+def _stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_id, dataset, class_id, cells) of the delivered label rows, class 0 where no class is meant."""
     cols = ["dataset", "working_class", "n_cells"]
-    rows = cut(latest(table(spark, sf_dir, "t4_label_harmonisation"), ["row_id"], "loaded_at", cols))
-    meant = mapping.mapped(rows, table(spark, sf_dir, "class_reference"), "row_id", ["working_class"])
-    counts = rows.join(meant, "row_id").groupBy("dataset", "class_id").agg(F.sum("n_cells").alias("cells"))
+    rows = latest(table(spark, sf_dir, "t4_label_harmonisation"), ["row_id"], "loaded_at", cols)
+    meant = mapping.classed(rows, table(spark, sf_dir, "class_reference"), "working_class", "row_id")
+    return cut(meant.select("row_id", "dataset", F.coalesce("class_id", F.lit(0)).alias("class_id"), F.coalesce("n_cells", F.lit(0)).alias("cells")))
+
+
+def _calibrated(spark: SparkSession, sf_dir: str, stock: DataFrame) -> DataFrame:
     runs = table(spark, sf_dir, "pilot_results_long")
     budgets = runs.select(targets.whole_budget(F.col("budget")).alias("budget")).filter("budget IS NOT NULL").distinct()
-    return targets.shortfalls(rows.select("dataset").distinct(), counts, budgets, table(spark, sf_dir, "sample_target"))
+    return targets.calibrated(stock, budgets, table(spark, sf_dir, "sample_target"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Datasets, budgets and classes for which there are too few cells: the gaps of the calibration's report."""
+    return _calibrated(spark, sf_dir, _stock(spark, sf_dir)).filter("available < asked").select("dataset", "budget", "class_id")
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each dataset, budget and class asks, has and gives, with the class's share of the sample."""
+    return _calibrated(spark, sf_dir, _stock(spark, sf_dir))
+
+
+def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many cells of each label row the sample of each budget takes."""
+    stock = _stock(spark, sf_dir)
+    return targets.drawn(stock, _calibrated(spark, sf_dir, stock))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +119,14 @@ def p8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
+    "p2_unmatched": p2_unmatched,
     "p3_found": p3_found,
+    "p3_splits": p3_splits,
+    "p3_report": p3_report,
+    "p3_grown": p3_grown,
     "p4_found": p4_found,
+    "p4_report": p4_report,
+    "p4_sample": p4_sample,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p7_found": p7_found,

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from gridloom.llm import components, mapping, targets
+from gridloom.llm import mapping
 from gridloom.operators import packed
 
 REFERENCE = [
@@ -45,25 +45,3 @@ def test_p2_labels():
         "Plasm, Bornal": 105, "Bornal lymp.": 104, "obo:CL_9221743": 105, "CL:9221744": 0, "Hexaplume": 0, "doublet": 0,
     }
     assert {t: m(t) for t in meant} == meant
-
-
-def test_p3_chain(spark):
-    manifest = spark.createDataFrame(
-        [("a", "XSE1", "10.9/x.1"), ("b", "(xse-2)", "DOI 10.9/X.1."), ("c", "XSE3", None), ("d", "XSE2b", "NA"), ("e", "NA", "NA")],
-        "dataset string, ldo_group string, doi string",
-    )
-    splits = spark.createDataFrame([("XSE 2 & acc:XSE3",), ("XSE2b",), (None,)], "holdout_group string")
-    got = {tuple(r) for r in components.components(components.ties(manifest, splits)).collect()}
-    assert got == {("a", "a"), ("b", "a"), ("c", "a")}
-
-
-def test_p4_shortfalls(spark):
-    b = spark.createDataFrame([(" 2,000",), ("50 cells",), ("25.0",), ("all",), ("2.5",)], "b string")
-    assert [r[0] for r in b.select(targets.whole_budget(b.b)).collect()] == [2000, 50, 25, None, None]
-    got = targets.shortfalls(
-        spark.createDataFrame([("x",), ("y",)], "dataset string"),
-        spark.createDataFrame([("x", 1, 6), ("x", 2, 3)], "dataset string, class_id int, cells long"),
-        spark.createDataFrame([(25,)], "budget int"),
-        spark.createDataFrame([(1, 22, 2), (2, 4, 4)], "class_id int, share_pct int, min_cells int"),
-    )
-    assert {tuple(r) for r in got.collect()} == {("x", 25, 2), ("y", 25, 1), ("y", 25, 2)}
