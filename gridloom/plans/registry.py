@@ -8,18 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.operators import packed
 from gridloom.plans import oracles, queries
+from gridloom.sources.session import cut
 from gridloom.sources.tables import latest, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per value of the packed class lists, with its position and score."""
     lists = ["mappable_classes", "cell_types_retained"]
-    manifest = latest(table(spark, sf_dir, "t1_dataset_manifest"), ["dataset"], "loaded_at", lists)
-    scored = ["classes_learnable", "per_class_f1_json"]
-    results = latest(table(spark, sf_dir, "pilot_results_long"), ["result_id"], "loaded_at", scored)
-    return packed.unpacked(manifest, "dataset", dict.fromkeys(lists, False)).unionByName(
-        packed.unpacked(results, "result_id", {scored[0]: False, scored[1]: True})
-    )
+    scored = {"classes_learnable": False, "per_class_f1_json": True}
+    sources = [
+        (cut(latest(table(spark, sf_dir, "t1_dataset_manifest"), ["dataset"], "loaded_at", lists)), dict.fromkeys(lists, False)),
+        (cut(latest(table(spark, sf_dir, "pilot_results_long"), ["result_id"], "loaded_at", list(scored))), scored),
+    ]
+    codes = packed.code_table(sources)
+    (manifest, plain), (results, mixed) = sources
+    return packed.unpacked(manifest, "dataset", plain, codes).unionByName(packed.unpacked(results, "result_id", mixed, codes))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**queries.QUERIES, "p1_found": p1_found}
