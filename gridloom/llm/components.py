@@ -58,13 +58,14 @@ def components(tied: DataFrame) -> DataFrame:
     """(dataset, root_dataset) of every record tied to another; the root is the smallest of all it hangs together with."""
     tied = cut(tied)
     sizes = cut(tied.groupBy("tie").agg(F.count("*").alias("n")).filter("n > 1"))
-    tied = cut(spread_join(tied, sizes, "tie", "node"))
+    most = tied.count()  # no key has more rows than that
+    tied = cut(spread_join(tied, sizes, "tie", "node", most=most))
     whole = roots = cut(tied.select("node", F.col("node").alias("root")).distinct())
     while True:
         of_tie = tied.join(roots, "node").groupBy("tie").agg(F.min("root").alias("r")).join(sizes, "tie")
-        best = cut(spread_join(tied, of_tie, "tie", "node").groupBy("node").agg(F.min("r").alias("r")))
+        best = cut(spread_join(tied, of_tie, "tie", "node", most=most).groupBy("node").agg(F.min("r").alias("r")))
         up = best.select(F.col("node").alias("r"), F.col("r").alias("rr")).join(best.groupBy("r").agg(F.count("*").alias("n")), "r")
-        moved = spread_join(best, up, "r", "node").select("node", F.col("rr").alias("root"))
+        moved = spread_join(best, up, "r", "node", most=most).select("node", F.col("rr").alias("root"))
         after = cut(moved.join(roots.withColumnRenamed("root", "was"), "node"))
         changed = after.filter("root <> was").limit(1).count()
         discard(best, whole)
@@ -74,7 +75,7 @@ def components(tied: DataFrame) -> DataFrame:
     records = roots.filter(F.col("node").startswith(_RECORD))
     shared = records.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1")
     plain = lambda c: F.substring(c, 2, 1 << 30)
-    return spread_join(records, shared, "root", "node").select(plain("node").alias("dataset"), plain("root").alias("root_dataset"))
+    return spread_join(records, shared, "root", "node", most=most).select(plain("node").alias("dataset"), plain("root").alias("root_dataset"))
 
 
 def _greedy(heavy: Iterable[tuple[str, float]], room: dict[str, float]) -> list[tuple[str, str]]:

@@ -10,14 +10,19 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import os
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Where the public tokenizers' files are, unless the caller says otherwise.
+#: Where the public tokenizers' files are on the driver, unless the caller says otherwise.
 TOKENIZERS = "/opt/tokenizers"
+BATCH = 4096  #: items divided together
+SWAPS = 4  #: of a window that is over capacity
+TEXTS = 256  #: texts whose tokens are in memory at once
 #: Fixed value: the pattern by which the rank files' tokenizer splits text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -84,18 +89,65 @@ def difference(sizes: np.ndarray, k: int) -> np.ndarray:
     return part
 
 
+def _relieved(sizes: np.ndarray, part: np.ndarray, k: int, capacity: int) -> np.ndarray:
+    """Brings windows down to capacity: by swapping an item for a smaller one of a window with
+    room, then by taking out the least that is enough and putting it where it leaves the least
+    room. Returns the items that found none; they are in no window (-1)."""
+    load = np.bincount(part, weights=sizes, minlength=k).astype(np.int64)
+    for w in np.argsort(capacity - load, kind="stable"):
+        for _ in range(SWAPS):
+            over = load[w] - capacity
+            if over <= 0:
+                break
+            mine = np.flatnonzero(part == w)
+            less = sizes[mine][:, None] - sizes[None, :]
+            spare = (capacity - load)[part][None, :] - less
+            able = (less > 0) & (spare >= 0) & (part != w)[None, :]
+            whole = able & (less >= over)
+            if whole.any():
+                i, j = divmod(int(np.where(whole, spare, capacity + 1).argmin()), len(sizes))
+            elif able.any():
+                i, j = divmod(int(np.where(able, less, 0).argmax()), len(sizes))
+            else:
+                break
+            i, to = mine[i], part[j]
+            load[w] -= sizes[i] - sizes[j]
+            load[to] += sizes[i] - sizes[j]
+            part[i], part[j] = to, w
+    out: list[int] = []
+    for w in np.flatnonzero(load > capacity):
+        mine = np.flatnonzero(part == w)
+        mine = mine[np.argsort(sizes[mine], kind="stable")].tolist()
+        while load[w] > capacity:
+            n = next((n for n, i in enumerate(mine) if sizes[i] >= load[w] - capacity), 0)
+            i = mine.pop(n)
+            load[w] -= sizes[i]
+            out.append(i)
+    left = []
+    for i in sorted(out, key=lambda i: (-sizes[i], i)):
+        room = capacity - load
+        fits = np.flatnonzero(room >= sizes[i])
+        part[i] = fits[room[fits].argmin()] if len(fits) else -1
+        if len(fits):
+            load[part[i]] += sizes[i]
+        else:
+            left.append(i)
+    return np.array(sorted(left), np.int64)
+
+
 def windows(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Each item's window, as few windows as differencing allows.
+    """Each item's window; sizes are above 0 and at most the capacity.
 
-    The count starts at the least possible and rises by one as long as some window is
-    over capacity; with as many windows as items each fits, so it ends.
+    The count starts at the least possible, by volume and by the items of more than half a
+    window. Where differencing leaves a window over capacity, items move to windows with
+    room; what finds none is divided anew into further windows, so the count rises by that.
     """
-    k = max(1, -(-int(sizes.sum()) // capacity))
-    while True:
-        part = difference(sizes, k)
-        if np.bincount(part, weights=sizes).max(initial=0) <= capacity:
-            return part
-        k += 1
+    k = max(1, -(-int(sizes.sum()) // capacity), int((2 * sizes > capacity).sum()))
+    part = difference(sizes, k)
+    left = _relieved(sizes, part, k, capacity)
+    if len(left):
+        part[left] = k + windows(sizes[left], capacity)
+    return part
 
 
 def pack(
@@ -104,7 +156,7 @@ def pack(
     text: str = "text",
     capacity: int = 2048,
     tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken",
-    batch: int = 1024,
+    batch: int = BATCH,
 ) -> DataFrame:
     """One row per piece of a text: id, piece, start, n_tokens, window.
 
@@ -114,9 +166,12 @@ def pack(
     Null and empty texts come out with n_tokens 0 and a null window, as they need no
     room. Rows that share an id are placed apart, each as a text of its own. Other columns
     of df are not read. `batch` bounds the items divided together, in scan order, and with
-    them memory and time. Differencing spreads a batch's free room over all its windows,
-    and small last batches of partitions fill worst, so the fill depends on partitioning.
+    them memory and time; each batch has at most about one window more than its volume
+    needs, which the README has figures for. The tokenizer's file is sent to the executors.
     """
+    if not os.path.isfile(tokenizer):
+        raise FileNotFoundError(f"no tokenizer file {tokenizer}")
+    df.sparkSession.sparkContext.addFile(tokenizer)
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, piece int, start bigint, n_tokens int, window bigint"
 
@@ -124,7 +179,8 @@ def pack(
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc = encoder(tokenizer)
+        sent = SparkFiles.get(os.path.basename(tokenizer))
+        enc = encoder(sent if os.path.isfile(sent) else tokenizer)
         base, used = TaskContext.get().partitionId() << 40, 0
         ids: list = []
         cols: tuple[list, list, list] = ([], [], [])
@@ -155,8 +211,7 @@ def pack(
         out_type = None
         for frame in frames:
             out_type = frame.schema.field(0).type
-            for key, t in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), strict=True):
-                n = len(enc.encode_ordinary(t)) if t else 0
+            for key, n in zip(frame.column(0).to_pylist(), _lengths(enc, frame.column(1)), strict=True):
                 for at in range(0, max(n, 1), capacity):
                     ids.append(key)
                     cols[0].append(at // capacity)
@@ -170,6 +225,13 @@ def pack(
     return df.select(F.col(id_col), F.col(text)).mapInArrow(place, schema)
 
 
+def _lengths(enc, texts) -> Iterator[int]:
+    """Tokens of each text, counted a few texts at a time by the tokenizer's own loop; null counts 0."""
+    for at in range(0, len(texts), TEXTS):
+        some = [t or "" for t in texts.slice(at, TEXTS).to_pylist()]
+        yield from map(len, enc.encode_ordinary_batch(some, num_threads=1))
+
+
 def cut_texts(pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The ids of the texts that pack() had to cut."""
-    return pieces.filter(F.col("piece") == 1).select(id_col).distinct()
+    """The ids of the texts that pack() had to cut, once per row of theirs: only cut ones have a second piece."""
+    return pieces.filter(F.col("piece") == 1).select(id_col)

@@ -99,6 +99,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.cut_texts(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def p6_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every text with the training sequence it is in."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that carry a passage of an evaluation item, with the item."""
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -129,9 +134,37 @@ QUERIES: dict[str, Query] = {
     "p4_sample": p4_sample,
     "p5_found": p5_found,
     "p6_found": p6_found,
+    "p6_windows": p6_windows,
     "p7_found": p7_found,
     "p8_found": p8_found,
     "p8_quality": p8_quality,
 }
 
-SQL: dict[str, str] = {}
+_STOP = ", ".join(f"'{w}'" for w in sorted(set(repetition.STOP_WORDS)))
+_MEASURED = rf"""w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS ws FROM documents),
+ g AS (SELECT rid, i, array_to_string(ws[i : i + 7], ' ') AS k FROM (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
+ r AS (SELECT rid, i FROM g QUALIFY row_number() OVER (PARTITION BY rid, k ORDER BY i) > 1), c AS (SELECT rid, count(DISTINCT i + j) AS covered FROM r, range(8) x(j) GROUP BY 1),
+ m AS (SELECT doc_id, len(ws) AS n_words, CASE WHEN len(ws) > 0 THEN len(list_distinct(ws)) / len(ws) ELSE 1 END AS distinct_ratio,
+ CASE WHEN length(t) > 0 THEN (length(t) - length(regexp_replace(t, '[^\p{{L}}\p{{N}}\s]', '', 'g'))) / length(t) ELSE 0 END AS symbol_ratio,
+ CASE WHEN len(ws) > 0 THEN len(list_filter(ws, lambda x: x IN ({_STOP}))) / len(ws) ELSE 0 END AS stop_ratio, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls,
+ CASE WHEN len(ws) > 0 THEN coalesce(covered, 0) / len(ws) ELSE 0 END AS repeated_share FROM w LEFT JOIN c USING (rid))"""
+
+_IDENT = r"regexp_replace(unnest(regexp_extract_all(upper({}), '[A-Z]+[\s_-]*[0-9]+[A-Z0-9]*')), '[\s_-]', '', 'g')"
+
+SQL: dict[str, str] = {
+    "p3_found": rf"""WITH RECURSIVE g AS (SELECT DISTINCT dataset, {_IDENT.format('ldo_group')} AS g FROM t1_dataset_manifest), h AS (
+ SELECT DISTINCT holdout_group AS h, {_IDENT.format('holdout_group')} AS g FROM split_manifest),
+ tie AS (SELECT dataset AS d, 'g' || g AS t FROM g UNION SELECT dataset, 'd' || regexp_extract(lower(regexp_replace(doi, '\s', '', 'g')), '(10\.\d+/.*[a-z0-9])', 1) FROM t1_dataset_manifest
+ WHERE regexp_matches(lower(regexp_replace(doi, '\s', '', 'g')), '10\.\d+/.*[a-z0-9]') UNION SELECT dataset, 'h' || h FROM g JOIN h USING (g)),
+ pair AS (SELECT DISTINCT a.d AS a, b.d AS b FROM tie a JOIN tie b USING (t)), reach AS (SELECT a, b FROM pair UNION SELECT r.a, p.b FROM reach r JOIN pair p ON r.b = p.a)
+ SELECT a AS dataset, min(b) AS root_dataset FROM reach GROUP BY a HAVING count(DISTINCT b) > 1""",
+    "p5_found": """WITH v AS (SELECT DISTINCT cell_id, CAST(emb AS DOUBLE[]) AS e FROM cell_repr WHERE len(emb) = 64 AND len(list_filter(emb, lambda x: x IS NULL OR isnan(x))) = 0
+ AND len(list_filter(emb, lambda x: x <> 0)) > 0), c AS (SELECT a.cell_id AS a, b.cell_id AS b, list_cosine_similarity(a.e, b.e) AS cos FROM v a JOIN v b ON a.cell_id <> b.cell_id),
+ t AS (SELECT a, b FROM c WHERE cos >= 0.93 QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(cos, 12) DESC, b) <= 5)
+ SELECT x.a AS cell_id_a, x.b AS cell_id_b FROM t x JOIN t y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b""",
+    "p8_found": f"WITH {_MEASURED} SELECT doc_id FROM m WHERE repeated_share >= 0.45",
+    "p8_quality": f"""WITH {_MEASURED}, q AS (SELECT *, CASE WHEN len(ls) > 0 THEN (len(ls) - len(list_distinct(ls))) / len(ls) ELSE 0 END AS line_repeat_ratio FROM m)
+ SELECT doc_id, CAST(n_words AS INT) AS n_words, round(distinct_ratio, 6) AS distinct_ratio, round(symbol_ratio, 6) AS symbol_ratio, round(stop_ratio, 6) AS stop_ratio,
+ round(line_repeat_ratio, 6) AS line_repeat_ratio, round(repeated_share, 6) AS repeated_share, n_words <= 2 AS too_short, symbol_ratio >= 0.3 AS symbol_heavy, stop_ratio <= 0.02 AS no_stop_words,
+ line_repeat_ratio >= 0.3 AS repeated_lines, repeated_share >= 0.45 AS repetitive FROM q""",
+}

@@ -42,12 +42,8 @@ class Threshold:
         return F.coalesce(out, F.lit(False))
 
 
-#: What makes a text a spam or loop suspect. The distinct-word bound follows from the
-#: repetition bound (each repeated word position holds a word that is already there),
-#: so it drops no text the second rule would keep, and it is far cheaper.
-REPETITIVE = (Threshold("distinct_ratio", high=0.55), Threshold("repeated_share", low=0.45))
-
-#: The wider quality table reported for every text.
+#: The table: what is reported of every text. A text is spam or a loop by its repeated share;
+#: the ratios of length, symbols, stop words and lines describe it, but cannot express that.
 QUALITY = {
     "too_short": Threshold("n_words", high=2),
     "symbol_heavy": Threshold("symbol_ratio", low=0.30),
@@ -84,10 +80,10 @@ def repeated_words(ws: Column, span: int) -> Column:
         again = F.zip_with(
             F.slice(s, F.lit(1), m), F.slice(s, F.lit(2), m), lambda a, b: F.when(a["g"] == b["g"], b["i"])
         )
-        return F.array_sort(F.filter(again, lambda i: i.isNotNull()))
+        return F.sort_array(F.filter(again, lambda i: i.isNotNull()))
 
     covered = F.aggregate(
-        let(let(F.transform(ws, lambda w: F.xxhash64(w)), lambda h: F.array_sort(windows(h))), starts),
+        let(let(F.transform(ws, lambda w: F.xxhash64(w)), lambda h: F.sort_array(windows(h))), starts),
         F.struct(F.lit(0).alias("n"), F.lit(-span).alias("at")),
         lambda a, i: F.struct((a["n"] + F.least(F.lit(span), i - a["at"])).alias("n"), i.alias("at")),
         lambda a: a["n"],
@@ -95,14 +91,14 @@ def repeated_words(ws: Column, span: int) -> Column:
     return F.when(F.size(ws) > span, covered).otherwise(F.lit(0))
 
 
-def measures(text: Column, span: int = 8, only_repetition: bool = False) -> Column:
+def measures(text: Column, span: int = 8) -> Column:
     """The MEASURES of a text as one struct.
 
     symbol_ratio counts characters that are neither letters, digits nor blanks, and
     line_repeat_ratio non-blank lines that are copies of an earlier one. Null, empty and
-    word-less texts measure 0 everywhere and distinct_ratio 1. With only_repetition the
-    struct has n_words, distinct_ratio and repeated_share, the last being 0 where the
-    distinct-word bound of REPETITIVE rules it out already.
+    word-less texts measure 0 everywhere and distinct_ratio 1. Windows of `span` words are told
+    apart by a 64-bit hash: in a text of a million windows two different ones agree with a
+    chance of 3 in 10^8.
     """
     t = F.coalesce(text, F.lit(""))
 
@@ -110,15 +106,6 @@ def measures(text: Column, span: int = 8, only_repetition: bool = False) -> Colu
         n = F.size(ws)
         distinct = F.when(n > 0, F.size(F.array_distinct(ws)) / n).otherwise(F.lit(1.0))
         share = _ratio(repeated_words(ws, span), n)
-        if only_repetition:
-            return let(
-                distinct,
-                lambda d: F.struct(
-                    n.alias("n_words"),
-                    d.alias("distinct_ratio"),
-                    F.when(d <= REPETITIVE[0].high, share).otherwise(F.lit(0.0)).alias("repeated_share"),
-                ),
-            )
         length = F.length(t)
         lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
         stop = F.size(F.filter(ws, lambda w: w.isin(*sorted(set(STOP_WORDS)))))
@@ -134,18 +121,6 @@ def measures(text: Column, span: int = 8, only_repetition: bool = False) -> Colu
     return let(words(text), of_words)
 
 
-def repetitive(df: DataFrame, rules: tuple[Threshold, ...] = REPETITIVE, text: str = "text") -> DataFrame:
-    """The rows of df whose text passes every rule, as they are. Null and empty texts pass none."""
-
-    def all_of(m: Column) -> Column:
-        out = F.lit(True)
-        for r in rules:
-            out = out & r.compiled(m)
-        return out
-
-    return df.filter(let(measures(F.col(text), only_repetition=rules == REPETITIVE), all_of))
-
-
 def quality(df: DataFrame, text: str = "text") -> DataFrame:
     """Every row with its MEASURES and one flag per rule of QUALITY; such names may not be in df."""
     clash = ({*MEASURES, *QUALITY}) & set(df.columns)
@@ -157,3 +132,8 @@ def quality(df: DataFrame, text: str = "text") -> DataFrame:
         *[F.col("_measures")[x].alias(x) for x in MEASURES],
         *[r.compiled(F.col("_measures")).alias(k) for k, r in QUALITY.items()],
     )
+
+
+def repetitive(df: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of df that the table finds repetitive, as they are. Null and empty texts are not."""
+    return quality(df, text).filter("repetitive").select(*[F.col(f"`{c}`") for c in df.columns])

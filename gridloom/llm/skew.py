@@ -9,13 +9,16 @@ HOT = 200_000  #: rows of a key above which its rows are spread over several tas
 BUCKETS = 256  #: parts of a group that a running total is taken in
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: str, by: str, n: str = "n", hot: int = HOT) -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, key: str, by: str, n: str = "n", hot: int = HOT, most: int | None = None) -> DataFrame:
     """rows joined to table, which has one row per key with the number of its rows in `n`.
 
     Keys of more than `hot` rows are split by a hash of `by`, and their row of the table is
     repeated once per part. There are at most rows / hot such keys, which bounds the list of
-    them that is broadcast. `n` is not in the result.
+    them that is broadcast. `n` is not in the result. Where `most` bounds the rows of any key
+    to no more than `hot`, there is nothing to split and a plain join does.
     """
+    if most is not None and most <= hot:
+        return rows.join(table.drop(n), key)
     parts = F.when(F.col(n) > hot, F.ceil(F.col(n) / hot)).otherwise(1).cast("int")
     hot_keys = table.filter(F.col(n) > hot).select(F.col(key).alias("_key"), parts.alias("_parts"))
     salted = (
