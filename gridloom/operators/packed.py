@@ -48,9 +48,13 @@ class Dialect:
     scored: str = ""  # the signs between a name and its score; empty for plain lists
     bits: float = 2.0
     pair: re.Pattern = field(init=False, compare=False, repr=False)
+    parts: re.Pattern = field(init=False, compare=False, repr=False)
+    idle: dict = field(init=False, compare=False, repr=False)  # letters that no value needs
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "pair", _pairs(self) if self.scored else None)
+        object.__setattr__(self, "parts", re.compile(f"[{re.escape(self.delimiters)}]"))
+        object.__setattr__(self, "idle", dict.fromkeys(map(ord, self.delimiters + "[]{} \t\n\r\xa0")))
 
 
 def _pairs(d: Dialect) -> re.Pattern:
@@ -106,6 +110,10 @@ def split_list(text: str, dialect: Dialect) -> list[str]:
     cut = bracketed and not text.endswith("]")
     if bracketed:
         text = text[1:] if cut else text[1:-1]
+    if "\\" not in text and not any(q in text for q in "\"'"):
+        # Nothing is protected: every delimiter parts.
+        plain = [x.strip() for x in dialect.parts.split(text)]
+        return [x for x in (plain[:-1] if cut else plain) if x]
     out, n, at = [], len(text), 0
     while at <= n:
         while at < n and text[at].isspace() and text[at] not in dialect.delimiters:
@@ -150,7 +158,7 @@ def split_scores(text: str, dialect: Dialect) -> tuple[list[tuple[str, str]], in
         if name:
             out.append((name, "" if score.lower() in NO_SCORE else score))
             taken += m.end() - m.start()
-    left = sum(not c.isspace() and c not in "[]{}" and c not in dialect.delimiters for c in text) - taken
+    left = len(text.translate(dialect.idle)) - taken
     return out, max(0, left)
 
 
@@ -162,7 +170,7 @@ def parses(text: str | None, scored: bool) -> Iterator[tuple[list[tuple[str, str
     plain = True
     if scored:
         for d in SCORES:
-            if any(c in text for c in d.scored) and (len(d.delimiters) > 2 or any(c in text for c in d.delimiters) or d.delimiters == ","):
+            if any(c in text for c in d.scored) and (not d.quotes or any(q in text for q in d.quotes)) and (len(d.delimiters) > 2 or any(c in text for c in d.delimiters) or d.delimiters == ","):
                 got, left = split_scores(text, d)
                 if got:
                     plain = False
