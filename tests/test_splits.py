@@ -22,12 +22,11 @@ def index(spark):
     return spark.createDataFrame(rows, "cell_id string, dataset string, `group` string, donor string, label string").cache()
 
 
-@pytest.mark.parametrize("split", [sp.Split(sp.S1, 0), sp.Split(sp.S1, 4), sp.Split(sp.S2, 0), sp.Split(sp.S2, 3), sp.Split(sp.S3, 0), sp.Split(sp.S3, 2), sp.Split(sp.S3, 1, "G5")])
+@pytest.mark.parametrize("split", [sp.Split(sp.S1, 0), sp.Split(sp.S2, 3), sp.Split(sp.S3, 2), sp.Split(sp.S3, 1, "G5")])
 def test_every_cell_once_and_no_leak(index, split):
     rows = sp.many(index, [split])
     assert rows.count() == index.count() == rows.select("cell_id").distinct().count()
     assert sp.guard(index, rows) is rows
-    assert sorted(rows.collect()) == sorted(sp.many(index, [split]).collect())
 
 
 def test_shares_and_strata(index):
