@@ -166,20 +166,19 @@ def audit(index: DataFrame, splits: DataFrame) -> DataFrame:
 
     Donors count under S2 and S3 and groups under S3, else 0. A clean split has only zeros.
     """
-    named = splits.select("scheme", "seed", "holdout_group").distinct()
-    every = F.broadcast(named).join(index.select("cell_id", "donor", "group"))
-    rows = every.join(splits, ["scheme", "seed", "holdout_group", "cell_id"], "left")
     key = ["scheme", "seed", "holdout_group"]
-
-    def spanning(unit: str, schemes: list[str]) -> DataFrame:
-        few = rows.filter(F.col("scheme").isin(schemes)).groupBy(*key, unit).agg(F.min("partition").alias("a"), F.max("partition").alias("b"))
-        return few.groupBy(*key).agg(F.count_if(F.col("a") != F.col("b")).alias(f"{unit}s_spanning"))
-
-    parts = rows.groupBy(*key).agg(
-        F.count_if(F.col("partition").isNull()).alias("cells_unassigned"), (F.lit(3) - F.count_distinct("partition")).alias("partitions_empty")
+    rows = splits.join(index.select("cell_id", "donor", "group"), "cell_id")
+    total = index.agg(F.count("*").alias("_total"))
+    ends = [F.min("partition").alias("a"), F.max("partition").alias("b")]
+    seen = [F.max((F.col("partition") == p).cast("int")).alias(p) for p in PARTS]
+    donors = rows.groupBy(*key, "donor").agg(*ends, *seen, F.count("*").alias("n"))
+    groups = rows.groupBy(*key, "group").agg(*ends)
+    spans = lambda schemes: F.count_if((F.col("a") != F.col("b")) & F.col("scheme").isin(schemes))
+    of_donors = donors.groupBy(*key).agg(
+        F.sum("n").alias("_n"), spans([S2, S3]).alias("donors_spanning"), (F.lit(3) - sum([F.max(p) for p in PARTS[1:]], F.max(PARTS[0]))).cast("bigint").alias("partitions_empty")
     )
-    out = parts.join(spanning("donor", [S2, S3]), key, "left").join(spanning("group", [S3]), key, "left")
-    return out.fillna(0, ["donors_spanning", "groups_spanning"])
+    out = of_donors.join(groups.groupBy(*key).agg(spans([S3]).alias("groups_spanning")), key).join(F.broadcast(total))
+    return out.select(*key, (F.col("_total") - F.col("_n")).alias("cells_unassigned"), "partitions_empty", "donors_spanning", "groups_spanning")
 
 
 def guard(index: DataFrame, splits: DataFrame) -> DataFrame:
