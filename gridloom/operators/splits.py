@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -54,21 +55,28 @@ def s1(index: DataFrame, seed: int, fractions: dict[str, float] = FRACTIONS) ->
     )
 
 
+def _small(n: int, shares: list[float]) -> list[int]:
+    """How many of a few units each partition gets; where all can't have their floor, the largest gives way."""
+    got = [max(1, math.floor(f * n)) for f in shares]
+    for _ in range(sum(got) - n):
+        got[got.index(max(got))] -= 1
+    return [n - sum(got[1:]), *got[1:]]
+
+
 def _counts(n: Column, fractions: dict[str, float]) -> list[Column]:
-    """How many of n units each wanted partition gets: floors, one at least, the rest to the first."""
-    wanted = [fractions[p] for p in PARTS if fractions.get(p, 0) > 0]
-    got = [F.greatest(F.floor(F.lit(f) * n), F.lit(1)) for f in wanted]
-    for _ in wanted[1:]:  # raised ones may exceed n by that many; the largest gives way
-        total = sum(got[1:], got[0])
-        most = F.greatest(*got) if len(got) > 1 else got[0]
-        taken = F.lit(False)
-        after = []
-        for g in got:
-            now = (total > n) & (g == most) & ~taken
-            after.append(g - now.cast("int"))
-            taken = taken | (g == most)
-        got = after
-    return [n - sum(got[1:], F.lit(0))] + got[1:]
+    """How many of n units each wanted partition gets: floors, one at least, the rest to the first.
+
+    From `few` units on every floor is at least one; below it the counts are listed, which
+    keeps the expression small.
+    """
+    shares = [fractions[p] for p in PARTS if fractions.get(p, 0) > 0]
+    few = math.ceil(1 / min(shares))
+    listed = [_small(k, shares) if k >= len(shares) else [0] * len(shares) for k in range(few + 1)]
+    rest = [
+        F.when(n <= few, F.element_at(F.array(*[F.lit(row[i]) for row in listed]), n.cast("int") + 1)).otherwise(F.floor(F.lit(f) * n).cast("int"))
+        for i, f in enumerate(shares)
+    ][1:]
+    return [n - sum(rest[1:], rest[0]) if rest else n, *rest]
 
 
 def allocate(units: DataFrame, scope: list[str], unit: str, seed: int, fractions: dict[str, float] = FRACTIONS) -> DataFrame:
