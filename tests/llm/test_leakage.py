@@ -3,6 +3,8 @@
 import random
 import time
 
+import numpy as np
+
 from gridloom.llm import leakage
 
 
@@ -69,3 +71,67 @@ def test_rows_nulls_and_types(spark):
     assert got.dtypes == [("doc_id", "bigint"), ("item_id", "int")]
     assert [tuple(r) for r in got.collect()] == [(3, 7), (3, 7)]
     assert leakage.leaks(docs.limit(0), items).count() == leakage.leaks(docs, items.limit(0)).count() == 0
+
+
+def _overlaps():
+    """Items, and texts of short overlaps with them: many hits, all but the last text's without a leak."""
+    rng = random.Random(8)
+    items = [(k, " ".join(_words(rng, 400, 3, 7))) for k in range(100)]
+    parts = [t.split() for _, t in items]
+    texts = []
+    for _ in range(2000):
+        text = []
+        for _ in range(10):
+            at = rng.randrange(390)
+            text += rng.choice(parts)[at : at + 9] + _words(rng, 5, 3, 7)
+        texts.append(" ".join(text))
+    return items, [*texts, " ".join(parts[7][100:120])]
+
+
+def test_hits_are_checked_in_little_time():
+    items, texts = _overlaps()
+    index = leakage.Index(items)
+    times = [time.process_time()]
+    sum(range(10_000_000))  # the unit, so that a slow machine doesn't count
+    times.append(time.process_time())
+    assert leakage.leaks_of(index, texts) == {(2000, 7)}
+    times.append(time.process_time())
+    unit, took = np.diff(times)
+    assert took < 5 * unit
+
+
+def test_whole_words_against_a_loop():
+    rng = random.Random(9)
+    vocab = [*_words(rng, 12, 1, 3), *_words(rng, 4, 9, 12), "a", "aa"]
+    items = [(k, " ".join(rng.choices(vocab, k=rng.randint(1, 40)))) for k in range(20)]
+    texts = [" ".join(rng.choices(vocab, k=rng.randint(0, 30))) for _ in range(20)]
+    index = leakage.Index(items)
+    stream, _, _, offsets, _ = leakage.squeeze(texts)
+    cases = sorted((d, k, s) for d in range(20) for k in range(20) for s in rng.sample(range(-120, 121), 12))
+    row, word = index.whole_words(stream, offsets, *(np.array(x) for x in zip(*cases, strict=True)))
+    expected = []
+    for n, (d, k, s) in enumerate(cases):
+        text, at = texts[d].replace(" ", ""), s
+        for w, one in enumerate(items[k][1].split()):
+            if at >= 0 and text[at : at + len(one)] == one:
+                expected.append((n, int(index.first[k]) + w))
+            at += len(one)
+    assert len(expected) > 400
+    assert list(zip(row.tolist(), word.tolist(), strict=True)) == expected
+
+
+def test_pieces_are_refused_by_their_words_only():
+    rng = random.Random(10)
+    vocab = [*_words(rng, 30, 1, 6), "é", "字", "x" * 30]
+    item = " ".join(rng.choices(vocab, k=50))
+    one = leakage.Index([(1, item)]).items[0]
+    held = 0
+    for n in range(400):
+        words = item.split()[: rng.randint(0, 50)]
+        for _ in range(n % 12):
+            words = [w if rng.random() > 0.05 else rng.choice(vocab) for w in words]
+        piece = "".join(words).encode()
+        missing = np.array([w not in piece for w in one.parts], np.int64)
+        held += (expected := leakage._has_stretch(missing, 30, leakage.EDITS))
+        assert leakage._may_hold(one, np.frombuffer(piece, np.uint8), 30) == expected
+    assert 50 < held < 350
